@@ -280,11 +280,12 @@ def decode(tokens: DataFrame, key: str = "doc_id", ids: str = "ids", path: str |
     return per_batch(slim, step, f"`{key}` {slim.schema[0].dataType.simpleString()}, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, **options) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 of a full round trip."""
+def digests(docs: DataFrame, with_ids: bool = False, **options) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 of a full round trip, and the ids if asked for."""
     return decode(encode(docs, **options)).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if with_ids else []),
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, quality
+from . import bpe, decontaminate, neardup, quality, secrets
 from ._common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -27,7 +31,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op8_ngram_jaccard_join, op9_decontamination, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_secret_scans, op8_ngram_jaccard_join, op9_decontamination, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
