@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, quality, secrets
+from . import bpe, decontaminate, html, langid, neardup, quality, secrets, sharding
 from ._common import table
 
 
@@ -14,10 +14,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -31,7 +43,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_secret_scans, op8_ngram_jaccard_join, op9_decontamination, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_secret_scans, op6_language_id, op7_sharding, op8_ngram_jaccard_join, op9_decontamination, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
