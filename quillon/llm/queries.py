@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, langid, neardup, quality, secrets, sharding
+from . import bpe, decontaminate, html, langid, licenses, neardup, quality, secrets, sharding, tokencount
 from ._common import table
 
 
@@ -22,6 +22,14 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_edits(table(spark, sf_dir, "documents"), tokencount.sample_edits())
+
+
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_secret_scans, op6_language_id, op7_sharding, op8_ngram_jaccard_join, op9_decontamination, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_secret_scans, op4_token_counts, op5_license_scans, op6_language_id, op7_sharding, op8_ngram_jaccard_join, op9_decontamination, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
