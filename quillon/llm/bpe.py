@@ -30,14 +30,11 @@ from ._common import keyed_text, per_batch
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens in each of the two generations of a worker's memory; what it has forgotten it merges again.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Pre-tokens of at most so many bytes keep a bucket's positions in a bitmap.
 SHORT = 256
 _BITS = 8
-
-
-def _JOIN(a: int, b: int) -> int:
-    return a << 8 | b
+_BIT = [1 << i for i in range(1024)]
 
 
 class Encoder:
@@ -56,7 +53,9 @@ class Encoder:
         self.lengths = np.array([len(x) for x in pieces], np.int64)
         self.known = np.zeros(self.top_rank + 1, bool)
         self.known[list(self.ranks.values())] = True
-        self.pair_ranks = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+        self.pair_ranks = [[self.ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
+        self.buckets = [0] * (self.top_rank + 1)
+        self.words = [0] * ((self.top_rank >> _BITS) + 1)
         self.split = regex.compile(pattern).findall
         self.memo = _Memo(self)
 
@@ -67,42 +66,40 @@ class Encoder:
         return self._merge_short(piece) if len(piece) <= SHORT else self._merge_long(piece)
 
     def _merge_short(self, piece: bytes) -> tuple[int, ...]:
-        """A bucket is a bitmap of positions here, so the leftmost entry is a find-first-set too."""
-        rank_of = self.ranks.get
+        """A bucket is a bitmap of positions here, so the leftmost entry is a find-first-set too.
+
+        Buckets and the bitmap's words are arrays of the encoder's own; both are
+        all zero again when the queue has run empty.
+        """
+        rank_of, buckets, words, rows = self.ranks.get, self.buckets, self.words, self.pair_ranks
         n = len(piece)
         after = list(range(1, n + 2))
         before = list(range(-1, n + 1))
-        live = list(map(self.pair_ranks.__getitem__, map(_JOIN, piece, piece[1:])))
+        live = [rows[a][b] for a, b in zip(piece, piece[1:])]
         live.append(-1)
-        buckets: dict[int, int] = {}
-        words: dict[int, int] = {}
         top = 0
         bit = 1
         for r in live:
             if r >= 0:
-                if r in buckets:
-                    buckets[r] |= bit
-                else:
-                    buckets[r] = bit
-                    w = r >> _BITS
-                    words[w] = words.get(w, 0) | 1 << (r & 255)
-                    top |= 1 << w
+                if not buckets[r]:
+                    w = r >> 8
+                    words[w] |= _BIT[r & 255]
+                    top |= _BIT[w]
+                buckets[r] |= bit
             bit <<= 1
         while top:
             w = (top & -top).bit_length() - 1
             bits = words[w]
-            r = (w << _BITS) | ((bits & -bits).bit_length() - 1)
+            r = (w << 8) + (bits & -bits).bit_length() - 1
             bucket = buckets[r]
             i = (bucket & -bucket).bit_length() - 1
             bucket &= bucket - 1
-            if bucket:
-                buckets[r] = bucket
-            else:
-                del buckets[r]
+            buckets[r] = bucket
+            if not bucket:
                 bits &= bits - 1
                 words[w] = bits
                 if not bits:
-                    top ^= 1 << w
+                    top ^= _BIT[w]
             if live[i] != r:
                 continue  # stale
             j = after[i]
@@ -113,27 +110,23 @@ class Encoder:
                 q = rank_of(piece[i : after[k]])
                 if q is not None:
                     live[i] = q
-                    if q in buckets:
-                        buckets[q] |= 1 << i
-                    else:
-                        buckets[q] = 1 << i
-                        w = q >> _BITS
-                        words[w] = words.get(w, 0) | 1 << (q & 255)
-                        top |= 1 << w
+                    if not buckets[q]:
+                        w = q >> 8
+                        words[w] |= _BIT[q & 255]
+                        top |= _BIT[w]
+                    buckets[q] |= 1 << i
             p = before[i]
             if p >= 0:
                 q = rank_of(piece[p:k])
                 if q is None:
                     live[p] = -1
-                elif q != live[p]:
+                else:
                     live[p] = q
-                    if q in buckets:
-                        buckets[q] |= 1 << p
-                    else:
-                        buckets[q] = 1 << p
-                        w = q >> _BITS
-                        words[w] = words.get(w, 0) | 1 << (q & 255)
-                        top |= 1 << w
+                    if not buckets[q]:
+                        w = q >> 8
+                        words[w] |= _BIT[q & 255]
+                        top |= _BIT[w]
+                    buckets[q] |= 1 << p
         ranks, out, i = self.ranks, [], 0
         while i < n:
             k = after[i]
