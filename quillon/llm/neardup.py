@@ -45,6 +45,7 @@ from .wordhash import SPACED, mix, sets, slices
 MISS = 1e-8
 CHUNK = 128
 ROUNDS = 3
+SALTS = 64
 _U = np.uint64
 
 
@@ -228,7 +229,9 @@ def _across(large: DataFrame, found: DataFrame, links) -> DataFrame:
     state = cut(parts(found))
     by_part = state.groupBy("label", "part").agg(F.count("*").alias("c"))
     main = by_part.groupBy("label").agg(F.max(F.struct("c", "part"))["part"].alias("main"), F.sum("c").alias("all"), F.max("c").alias("c")).withColumn("rest", F.col("all") - F.col("c")).where("rest > 0").select("label", "main", "all", "rest")
-    state = state.join(main, "label")
+    # few labels may have most of the rows, so the small side is repeated over salts
+    salts = main.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    state = state.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(99)), F.lit(SALTS)).cast("int")).join(salts, ["label", "salt"]).drop("salt")
     k_all, k_rest = _chunks(F.col("all")), _chunks(F.col("rest"))
     spread = F.sequence(F.lit(0), F.col("k") - 1)
     row = ["label", "id", "d1", F.col("part").alias("known"), "text"]
