@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import ROWS, cut, keyed_text
-from .components import components
+from .components import components, few
 from .counttree import linked
 from .wordhash import SPACED, mix, sets, slices
 
@@ -213,18 +213,18 @@ def _across(large: DataFrame, found: DataFrame, links) -> DataFrame:
         return large.join(labels, "id", "left").withColumn("part", F.coalesce("part", "id"))
 
     # rounds on the smallest class of each part merge what chunks have in common
-    before = None
+    before, whole = None, False
     for turn in range(ROUNDS):
         state = parts(found)
         heads = state.where("part = id")
         per = heads.groupBy("label").agg(F.count("*").alias("heads"))
-        left = per.agg(F.sum(F.col("heads") - 1)).first()[0] or 0
-        if not left or left == before:
+        left, most = per.agg(F.sum(F.col("heads") - 1), F.max("heads")).first()
+        if not left or left == before or whole:
             break
-        before = left
+        before, whole = left, most <= CHUNK  # one chunk holds all heads of a cluster: another round would find nothing more
         at = F.pmod(F.xxhash64("id", F.lit(turn)), _chunks(F.col("heads"))).cast("string")
         more = links(heads.join(per.where("heads > 1"), "label").select("label", at.alias("at"), "id", "d1", F.col("id").alias("known"), F.lit(True).alias("probe"), "text"))
-        found = cut(found.union(more))
+        found = cut(few(found.union(more)))
     # then whatever lies outside a cluster's largest part meets all of the cluster
     state = cut(parts(found))
     by_part = state.groupBy("label", "part").agg(F.count("*").alias("c"))
