@@ -17,7 +17,7 @@ import pyarrow as pa
 
 U = np.uint64
 LONG = 512
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 
@@ -37,7 +37,7 @@ SPACED[0] = 255
 ALNUM = _table(lambda b: b >= 0x80 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def up(base: int) -> np.ndarray:
         out = np.full(n, base, U)
