@@ -133,7 +133,11 @@ class Automaton:
     def _infer(self) -> None:
         red, blue = [0], deque((0, s) for s in sorted(self.next[0]))
         known = {0}
-        while blue:
+        while True:
+            if not blue:  # folding may have given a red state children below the one it was folded into
+                blue.extend((r, x) for r in red for x in sorted(self.next[r]) if self.next[r][x] not in known)
+                if not blue:
+                    break
             parent, s = blue.popleft()
             state = self.next[parent].get(s)
             if state is None or state in known:
