@@ -133,11 +133,7 @@ class Automaton:
     def _infer(self) -> None:
         red, blue = [0], deque((0, s) for s in sorted(self.next[0]))
         known = {0}
-        while True:
-            if not blue:  # folding may have given a red state children below the one it was folded into
-                blue.extend((r, x) for r in red for x in sorted(self.next[r]) if self.next[r][x] not in known)
-                if not blue:
-                    break
+        while blue:
             parent, s = blue.popleft()
             state = self.next[parent].get(s)
             if state is None or state in known:
@@ -154,7 +150,7 @@ class Automaton:
         logs = {}
         for r in red:
             total = self.through[r] + 1.0
-            logs[r] = ({s: (math.log((n + 0.05) / total), self.next[r].get(s, 0)) for s, n in self.count[r].items() if s}, math.log(0.05 / total))
+            logs[r] = ({s: (math.log((n + 0.05) / total), self.next[r].get(s, 0) if self.next[r].get(s, 0) in known else 0) for s, n in self.count[r].items() if s}, math.log(0.05 / total))
         self.logs = logs
         self.states = len(red)
 
