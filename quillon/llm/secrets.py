@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ from ._common import ROWS, keyed_text, per_batch
 
 #: Documents with a base match that the automata learn from, at most.
 SAMPLE_ROWS = 400
+#: Longer texts are scanned like any others, but not learned from.
+SAMPLE_CHARS = 100_000
 #: Strings of a label, at most, that its automaton learns from.
 STRINGS = 300
 SHORTEST = 16
@@ -59,6 +62,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+class _Covered:
+    """Whether a stretch of text overlaps any of the spans, in time that grows with the logarithm of their number."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, _, end in spans:
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        i = bisect_right(self.ends, start)
+        return i < len(self.starts) and self.starts[i] < end
+
+
 def _symbol(c: str) -> str:
     if "0" <= c <= "9":
         return "9"
@@ -173,12 +194,13 @@ class Formats:
         background: list[str] = []
         for text in texts:
             spans = base_spans(text)
+            covered = _Covered(spans)
             for start, kind, end in spans:
                 secret = text[start:end]
                 if kind == 0:
                     secret = _ASSIGN.match(secret)[2]
                 labelled[_KINDS[kind]].append(secret)
-            background += [m[0] for m in re.finditer(r"[A-Za-z0-9+/_.=-]{4,}", text) if not any(s < m.end() and m.start() < e for s, _, e in spans)]
+            background += [m[0] for m in re.finditer(r"[A-Za-z0-9+/_.=-]{4,}", text) if not covered.overlaps(m.start(), m.end())]
         self.automata = {k: Automaton(sorted(set(v))[:STRINGS]) for k, v in labelled.items() if v}
         step = max(1, len(background) // (4 * STRINGS))
         self.background = Automaton(background[::step][: 4 * STRINGS])
@@ -192,14 +214,15 @@ class Formats:
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """(base spans, all spans), each sorted by start, then kind."""
         base = base_spans(text)
-        more = [(m.start(), 3, m.end()) for m in _RUN.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base) and self.is_secret(m[0])]
+        covered = _Covered(base)
+        more = [(m.start(), 3, m.end()) for m in _RUN.finditer(text) if not covered.overlaps(m.start(), m.end()) and self.is_secret(m[0])]
         return base, sorted(base + more) if more else base
 
 
 def learn(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Formats:
-    """Formats from at most ``sample_rows`` documents with a base match."""
+    """Formats from at most ``sample_rows`` documents with a base match, of at most ``SAMPLE_CHARS`` characters."""
     t = F.col(f"`{text}`").cast("string")
-    rows = docs.where(t.rlike(_HINT)).select(t.alias("t")).limit(sample_rows).collect()
+    rows = docs.where((F.length(t) <= SAMPLE_CHARS) & t.rlike(_HINT)).select(t.alias("t")).limit(sample_rows).collect()
     return Formats(sorted(r.t for r in rows))
 
 
