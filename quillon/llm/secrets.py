@@ -1,7 +1,9 @@
 """Secret scans: base patterns, and formats inferred as probabilistic automata.
 
 Base matches in a bounded sample of documents that hold any are the labelled
-credentials; other tokens of those documents are the background.  For each label
+credentials; other tokens of those documents are the background.  The sample is
+drawn by a hash of the text over the whole table, for each label on its own, and
+so are the strings that a label learns from.  For each label
 a prefix tree over character classes counts how often each continuation was
 seen; states whose continuations agree within a Hoeffding bound are merged (red
 and blue states in breadth-first order), which leaves a probabilistic automaton
@@ -30,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ROWS, keyed_text, per_batch
+from ._common import ROWS, cut, keyed_text, per_batch
 
-#: Documents with a base match that the automata learn from, at most.
+#: Documents with a base match of a label that the automata learn from, at most.
 SAMPLE_ROWS = 400
 #: Longer texts are scanned like any others, but not learned from.
 SAMPLE_CHARS = 100_000
@@ -47,7 +49,8 @@ ALPHA = 0.05
 _ASSIGN = re.compile(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_HINT = r"(?i)password|passwd|secret|token|api_?key|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
+#: The same for Spark, by label: a text that holds a base match holds the pattern.
+_HOLDS = {"assign": _ASSIGN.pattern.removesuffix("+)") + "{6,})", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 _KINDS = ("assign", "access", "hex", "format")
@@ -188,6 +191,11 @@ class Automaton:
         return total
 
 
+def _drawn(strings: list[str]) -> list[str]:
+    """At most ``STRINGS`` of the strings, drawn by hash."""
+    return sorted(set(strings), key=lambda s: hashlib.sha256(s.encode("utf-8", "replace")).digest())[:STRINGS]
+
+
 class Formats:
     def __init__(self, texts: list[str]):
         labelled: dict[str, list[str]] = {"assign": [], "access": [], "hex": []}
@@ -201,9 +209,9 @@ class Formats:
                     secret = _ASSIGN.match(secret)[2]
                 labelled[_KINDS[kind]].append(secret)
             background += [m[0] for m in re.finditer(r"[A-Za-z0-9+/_.=-]{4,}", text) if not covered.overlaps(m.start(), m.end())]
-        self.automata = {k: Automaton(sorted(set(v))[:STRINGS]) for k, v in labelled.items() if v}
-        step = max(1, len(background) // (4 * STRINGS))
-        self.background = Automaton(background[::step][: 4 * STRINGS])
+        self.automata = {k: Automaton(_drawn(v)) for k, v in labelled.items() if v}
+        n = min(len(background), 4 * STRINGS)
+        self.background = Automaton([background[i * len(background) // n] for i in range(n)])
 
     def is_secret(self, run: str) -> bool:
         if not self.automata or not any("0" <= c <= "9" for c in run):
@@ -220,9 +228,15 @@ class Formats:
 
 
 def learn(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Formats:
-    """Formats from at most ``sample_rows`` documents with a base match, of at most ``SAMPLE_CHARS`` characters."""
+    """Formats from at most ``sample_rows`` distinct texts a label that hold a base match, of at most ``SAMPLE_CHARS`` characters, drawn by hash."""
     t = F.col(f"`{text}`").cast("string")
-    rows = docs.where((F.length(t) <= SAMPLE_CHARS) & t.rlike(_HINT)).select(t.alias("t")).limit(sample_rows).collect()
+    short = docs.where(F.length(t) <= SAMPLE_CHARS).select(t.alias("t"), F.xxhash64(t).alias("h"))
+    # hashes first, so that texts are fetched for the drawn ones only
+    holds = cut(short.select("h", *[F.col("t").rlike(p).alias(k) for k, p in _HOLDS.items()]).where(" or ".join(_HOLDS)).distinct())
+    drawn = {r.h for k in _HOLDS for r in holds.where(k).select("h").orderBy("h").limit(sample_rows).collect()}
+    if not drawn:
+        return Formats([])
+    rows = short.where(F.col("h").isin(sorted(drawn))).groupBy("h").agg(F.min("t").alias("t")).collect()
     return Formats(sorted(r.t for r in rows))
 
 
