@@ -7,9 +7,10 @@ so are the strings that a label learns from.  For each label
 a prefix tree over character classes counts how often each continuation was
 seen; states whose continuations agree within a Hoeffding bound are merged (red
 and blue states in breadth-first order), which leaves a probabilistic automaton
-of the format.  Every maximal run of credential characters in every text is then
-scored: the log-likelihood of its characters under the best format less that
-under the background's automaton.  Runs above the threshold that overlap no base
+of the format.  Every maximal run of credential characters in every text, from
+the length of the shortest string that can be learned on, is then scored: the
+log-likelihood of its characters under the best format less that under the
+background's automaton.  Runs above the threshold that overlap no base
 match are added as spans of kind ``format``; base spans always stay.
 
 Spans count code points, end exclusive.  Defined results: a null text is empty
@@ -40,7 +41,8 @@ SAMPLE_ROWS = 400
 SAMPLE_CHARS = 100_000
 #: Strings of a label, at most, that its automaton learns from.
 STRINGS = 300
-SHORTEST = 16
+#: Scores of runs of at most so many characters are kept, for so many kinds of run at a time.
+KEPT_CHARS, KEPT = 64, 1 << 16
 #: Nats by which a run must fit a format better than the background, in all and per character.
 MARGIN, MARGIN_CHAR = 10.0, 0.45
 ALPHA = 0.05
@@ -52,7 +54,8 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: The same for Spark, by label: a text that holds a base match holds the pattern.
 _HOLDS = {"assign": _ASSIGN.pattern.removesuffix("+)") + "{6,})", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+# No string that a label can learn is shorter.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{6,}")
 _KINDS = ("assign", "access", "hex", "format")
 
 
@@ -96,6 +99,7 @@ def _symbol(c: str) -> str:
 
 
 _CLASS = {chr(c): _symbol(chr(c)) for c in range(33, 127)}
+_CLASSES = str.maketrans(_CLASS)
 
 
 class Automaton:
@@ -210,20 +214,30 @@ class Formats:
                 labelled[_KINDS[kind]].append(secret)
             background += [m[0] for m in re.finditer(r"[A-Za-z0-9+/_.=-]{4,}", text) if not covered.overlaps(m.start(), m.end())]
         self.automata = {k: Automaton(_drawn(v)) for k, v in labelled.items() if v}
+        self.kept: dict[str, bool] = {}
         n = min(len(background), 4 * STRINGS)
         self.background = Automaton([background[i * len(background) // n] for i in range(n)])
 
     def is_secret(self, run: str) -> bool:
-        if not self.automata or not any("0" <= c <= "9" for c in run):
+        """Whether a format fits the run so much better than the background; this depends on its character classes only."""
+        if not self.automata:
             return False
-        gain = max(a.score(run) for a in self.automata.values()) - self.background.score(run)
-        return gain >= max(MARGIN, MARGIN_CHAR * len(run))
+        classes = run.translate(_CLASSES)
+        found = self.kept.get(classes)
+        if found is None:
+            gain = max(a.score(classes) for a in self.automata.values()) - self.background.score(classes)
+            found = gain >= max(MARGIN, MARGIN_CHAR * len(run))
+            if len(run) <= KEPT_CHARS:
+                if len(self.kept) >= KEPT:
+                    self.kept.clear()
+                self.kept[classes] = found
+        return found
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """(base spans, all spans), each sorted by start, then kind."""
         base = base_spans(text)
         covered = _Covered(base)
-        more = [(m.start(), 3, m.end()) for m in _RUN.finditer(text) if not covered.overlaps(m.start(), m.end()) and self.is_secret(m[0])]
+        more = [(m.start(), 3, m.end()) for m in _RUN.finditer(text) if self.is_secret(m[0]) and not covered.overlaps(m.start(), m.end())]
         return base, sorted(base + more) if more else base
 
 

@@ -152,6 +152,16 @@ def test_secret_sample_is_drawn_over_the_table(spark):
     assert known.spans("see " + key("zz") + " here")[1]
 
 
+def test_secret_runs_without_digits_or_short():
+    rng = random.Random(3)
+    letters = ["".join(rng.choice("QWXZ") + rng.choice("ghkq") for _ in range(10)) for _ in range(100)]
+    short = ["".join(rng.choice("QWXZ") + rng.choice("ghkq") for _ in range(5)) for _ in range(100)]
+    rest = [f"some words of prose were written by user{rng.randint(1, 99)} again" for _ in range(200)]
+    known = secrets.Formats([f"{b} token={s}" for b, s in zip(rest, letters + short)])
+    got = known.spans("see ZkWgQhXqWkZgXkQqWhXg and QgWhXkZqWg, not somebodys considerable writing")[1]
+    assert [(s, e) for s, _, e in got] == [(4, 24), (29, 39)]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a password=abcdef12 b", 21, "k"), (2, None, None, "k")], "doc_id long, text string, n_chars long, id string")
     got = sorted(tuple(r) for r in secrets.redact(df).collect())
