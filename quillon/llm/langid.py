@@ -7,9 +7,10 @@ vectors.  The prediction is the language of the centroid with the largest
 cosine, which is the score; a text further from it than all but a small share of
 that language's training texts is marked ``rejected``.
 
-The model is fitted on at most ``SAMPLE_ROWS`` labelled documents of at most
+The model is fitted on about ``SAMPLE_ROWS`` labelled documents of at most
 ``SAMPLE_CHARS`` characters, drawn by a hash over the whole table from those not
-held out (crc32 of doc_id modulo 4 is not 2).
+held out (crc32 of doc_id modulo 4 is not 2): of each language its share, but
+about ``LEAST_ROWS`` at least, or all where it has fewer.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if there is no labelled document; repeated rows are predicted
@@ -30,6 +31,7 @@ from ._common import per_batch
 
 SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 20_000
+LEAST_ROWS = 100
 BUCKETS = 1 << 13
 CENTROIDS = 6
 ROUNDS = 8
@@ -116,15 +118,18 @@ def _held_out(key: str) -> F.Column:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    t, rate = F.col(f"`{text}`").cast("string"), 1_000_000
-    share = min(rate, 2 * SAMPLE_ROWS * rate // max(1, docs.count()) + 1)
-    rows = (
-        docs.where(~_held_out(key) & F.col(f"`{lang}`").isNotNull() & t.isNotNull() & (F.length(t) <= SAMPLE_CHARS))
-        .where(F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(7)), F.lit(rate)) < share)
-        .select(t.alias("t"), F.col(f"`{lang}`").cast("string").alias("l"))
-        .limit(SAMPLE_ROWS)
-        .collect()
+    t, rate = F.col(f"`{text}`").cast("string"), 1 << 40
+    usable = docs.where(~_held_out(key) & F.col(f"`{lang}`").isNotNull() & t.isNotNull() & (F.length(t) <= SAMPLE_CHARS)).select(
+        t.alias("t"), F.col(f"`{lang}`").cast("string").alias("l"), F.xxhash64(F.col(f"`{key}`"), t, F.lit(7)).alias("h")
     )
+    sizes = {r.l: r.n for r in usable.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not sizes:
+        return Model([], [])
+    share = SAMPLE_ROWS / sum(sizes.values())
+    below = [(k, rate if n <= LEAST_ROWS or share >= 1 else int(rate * min(1.0, max(share, LEAST_ROWS / n)))) for k, n in sizes.items()]
+    below = docs.sparkSession.createDataFrame(below, "l string, below long")
+    rows = usable.join(F.broadcast(below), "l").where(F.pmod("h", F.lit(rate)) < F.col("below")).groupBy("l", "h").agg(F.min("t").alias("t")).collect()
+    rows.sort(key=lambda r: (r.l, r.h))
     rows = [r for r in rows if _LETTER.search(r.t)]
     return Model([r.t for r in rows], [r.l for r in rows])
 

@@ -257,6 +257,21 @@ def test_languages(spark):
     assert langid.predict(none).first().lang_pred == "und"
 
 
+def test_language_sample_is_drawn_over_the_table(spark, monkeypatch):
+    rng = random.Random(6)
+    vocab = {"en": ["the", "and", "with", "thing", "house"], "de": ["der", "und", "nicht", "schön", "haus"], "fr": ["les", "avec", "être", "maison", "où"], "es": ["los", "niño", "hoy", "cuando", "llegó"]}
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 200)
+    monkeypatch.setattr(langid, "LEAST_ROWS", 20)
+    order = ["en"] * 1200 + ["de"] * 800 + ["fr"] * 30 + ["es"] * 6
+    rows = [(i, " ".join(rng.choice(vocab[lang]) for _ in range(30)), lang) for i, lang in enumerate(order)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+    monkeypatch.setattr(langid, "Model", lambda texts, langs: collections.Counter(langs))
+    drawn = langid.fit(df)
+    assert set(drawn) == set(vocab) and 150 < sum(drawn.values()) < 300 and drawn["en"] > drawn["de"] > drawn["es"]
+
+
 # ---- shards
 
 
