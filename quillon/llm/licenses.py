@@ -1,6 +1,8 @@
 """License scans: a paragraph classifier over sparse word n-grams, confirmed by templates.
 
-Paragraphs are lines with a word.  A multinomial logistic regression over hashed
+Paragraphs are lines with a word.  Where a template lies across several lines
+without a blank one between, these lines, joined, are a paragraph too, with the
+number of the first line that has no family of its own.  A multinomial logistic regression over hashed
 word 1- to 3-grams, trained here on templates of each family with words dropped,
 swapped and added, and on ordinary text, gives each paragraph's family.  Its
 temperature and the probability under which a paragraph is ``unknown`` are set on
@@ -18,7 +20,9 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +67,51 @@ def _pairs(words: list[str]) -> set[tuple[str, ...]]:
     return set(zip(words, words[1:]))
 
 
+def _joined(lines: list[list[str]], templates: list[set[tuple[str, ...]]], known: dict[tuple[str, ...], list[int]]) -> list[tuple[int, int]]:
+    """(first, last) of runs of several lines that hold enough pairs of a template to confirm it.
+
+    The shortest such runs of each template, before them these with the neighbouring
+    lines that hold more of it, and at the end all lines; none if no template is
+    confirmed by all lines together.
+    """
+    hits: dict[int, list[tuple[int, int, tuple[str, str]]]] = {}
+    last, before = "", 0
+    for i, words in enumerate(lines):
+        for w in words:
+            for t in known.get((last, w), ()):
+                hits.setdefault(t, []).append((before, i, (last, w)))
+            last, before = w, i
+    wide: dict[tuple[int, int], float] = {}
+    tight = []
+    for t, found in hits.items():
+        need = CONFIRM * len(templates[t])
+        if len({pair for _, _, pair in found}) < need:
+            continue
+        touched = sorted({i for a, b, _ in found for i in (a, b)})
+        first, final = {}, {}
+        for i in touched:
+            first[i] = first.get(i - 1, i)
+        for i in reversed(touched):
+            final[i] = final.get(i + 1, i)
+        seen: dict[tuple[str, str], int] = {}
+        left = 0
+        for _, end, pair in found:
+            seen[pair] = seen.get(pair, 0) + 1
+            while len(seen) >= need:
+                start, _, old = found[left]
+                left += 1
+                seen[old] -= 1
+                if not seen[old]:
+                    del seen[old]
+                    tight.append((start, end))
+                    run = (first[start], final[end])
+                    if run not in wide:
+                        inside = found[bisect_left(found, (run[0],)) : bisect_left(found, (run[1] + 1,))]
+                        wide[run] = len({p for _, y, p in inside if y <= run[1]}) / len(templates[t])
+    runs = [*sorted(wide, key=lambda r: (-wide[r], r)), *tight]
+    return list(dict.fromkeys(r for r in [*runs, *([(0, len(lines) - 1)] if runs else [])] if r[0] < r[1]))
+
+
 def _variant(words: list[str], rng: random.Random, extra: list[str]) -> list[str]:
     out = [w for w in words if len(words) < 5 or rng.random() > 0.06]
     for _ in range(rng.randint(0, 3)):
@@ -105,6 +154,11 @@ class Model:
         strange = [self.probabilities(_words(t)).max() for t in UNSEEN[3:]]
         self.threshold = float(max(np.quantile(sure.max(axis=1)[right], 0.01), min(0.5, float(np.median(strange)))))
         self.pairs = {f: [_pairs(_words(t)) for t in templates] for f, templates in TEMPLATES.items()}
+        self.templates = [t for f in sorted(self.pairs) for t in self.pairs[f]]
+        self.known: dict[tuple[str, ...], list[int]] = {}
+        for i, t in enumerate(self.templates):
+            for pair in t:
+                self.known.setdefault(pair, []).append(i)
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
@@ -116,6 +170,9 @@ class Model:
         z = self.weights[f].sum(axis=0) / max(1.0, np.sqrt(len(f))) + 0.3 * self.weights[BUCKETS]
         return self._softmax(z / self.temperature)
 
+    def likeliest(self, words: list[str]) -> str:
+        return self.families[int(self.probabilities(words).argmax())]
+
     def classify(self, paragraph: str) -> str:
         """A family, ``unknown`` or ``none``."""
         if not CUES.search(paragraph):
@@ -141,8 +198,35 @@ def model(seed: int = 5) -> Model:
     return Model(seed)
 
 
+def _block(known: Model, lines: list[str]) -> list[str]:
+    """The verdict of each line of a block without blank ones, joined lines included."""
+    out = [known.classify(line) for line in lines]
+    if len(lines) < 2:
+        return out
+    words = [_words(line) for line in lines]
+    taken: set[int] = set()
+    for a, b in _joined(words, known.templates, known.known):
+        if not taken.isdisjoint(range(a, b + 1)):
+            continue
+        family = known.classify(" ".join(lines[a : b + 1]))
+        if family not in TEMPLATES or family in out[a : b + 1]:
+            continue
+        free = [i for i in range(a, b + 1) if out[i] not in TEMPLATES]
+        if not free:
+            continue
+        taken.update(range(a, b + 1))
+        for i in free:  # parts of the notice are no unknown ones, another licence that isn't known stays
+            if out[i] == "unknown" and known.likeliest(words[i]) != "unknown":
+                out[i] = "none"
+        out[free[0]] = family
+    return out
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 5) -> DataFrame:
-    """Per document: key, n_paragraphs, n_license (paragraphs of a family), n_unknown, families (sorted, comma-joined), paragraphs (their numbers as number:family)."""
+    """Per document: key, n_paragraphs, n_license (paragraphs of a family), n_unknown, families (sorted, comma-joined), paragraphs (their numbers as number:family).
+
+    Numbers count lines with a word; a paragraph of joined lines has a line's number and adds none.
+    """
     slim = keyed_text(docs, key, text)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -150,12 +234,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 5
         rows = []
         for value in batch.column(1).to_pylist():
             n, found = 0, []
-            cued = bool(value) and CUES.search(value) is not None
-            for line in (value or "").split("\n"):
-                if line and not line.isspace():
-                    if cued and (family := known.classify(line)) != "none":
-                        found.append((n, family))
-                    n += 1
+            for full, block in groupby((value or "").split("\n"), lambda line: bool(line) and not line.isspace()):
+                if full:
+                    verdicts = _block(known, list(block))
+                    found += [(n + i, family) for i, family in enumerate(verdicts) if family != "none"]
+                    n += len(verdicts)
             families = sorted({f for _, f in found} - {"unknown"})
             rows.append((n, sum(f != "unknown" for _, f in found), sum(f == "unknown" for _, f in found), ",".join(families), ",".join(f"{i}:{f}" for i, f in found)))
         c = list(zip(*rows))
