@@ -8,8 +8,10 @@ swapped and added, and on ordinary text, gives each paragraph's family.  Its
 temperature and the probability under which a paragraph is ``unknown`` are set on
 held-out variants and on notices of families that the training never saw.  A
 prediction stands only if the template of the family confirms it: most of the
-template's own word pairs lie in the paragraph.  A paragraph without any word
-that the templates use as a cue cannot be a licence and isn't scored.
+template's own word pairs lie in the paragraph.  Every paragraph with a cue of
+a licence, or of two words or more with one of the templates', is scored; any
+other holds no pair that could confirm it.  Without a cue only a sure score makes a paragraph
+``unknown``, so that ordinary text of words never seen isn't.
 
 Defined results: a null text has no paragraphs; repeated rows are scanned alike;
 an empty table gives an empty table; other columns are not looked at.
@@ -155,6 +157,7 @@ class Model:
         self.threshold = float(max(np.quantile(sure.max(axis=1)[right], 0.01), min(0.5, float(np.median(strange)))))
         self.pairs = {f: [_pairs(_words(t)) for t in templates] for f, templates in TEMPLATES.items()}
         self.templates = [t for f in sorted(self.pairs) for t in self.pairs[f]]
+        self.vocabulary = frozenset(w for t in (*UNSEEN, *(t for pair in TEMPLATES.values() for t in pair)) for w in _words(t))
         self.known: dict[tuple[str, ...], list[int]] = {}
         for i, t in enumerate(self.templates):
             for pair in t:
@@ -173,24 +176,28 @@ class Model:
     def likeliest(self, words: list[str]) -> str:
         return self.families[int(self.probabilities(words).argmax())]
 
-    def classify(self, paragraph: str) -> str:
+    def classify(self, paragraph: str, words: list[str] | None = None) -> str:
         """A family, ``unknown`` or ``none``."""
-        if not CUES.search(paragraph):
+        words = _words(paragraph) if words is None else words
+        cued = CUES.search(paragraph) is not None
+        if not cued and (len(words) < 2 or self.vocabulary.isdisjoint(words)):
             return "none"
-        words = _words(paragraph)
         p = self.probabilities(words)
         best = self.families[int(p.argmax())]
+        sure = p.max() >= self.threshold
         if best in TEMPLATES:
             mine = _pairs(words)
             if any(len(t & mine) >= CONFIRM * len(t) for t in self.pairs[best]):
                 # a template that lies whole in the paragraph needs no further margin
-                if p.max() >= self.threshold or any(t <= mine for t in self.pairs[best]):
+                if sure or any(t <= mine for t in self.pairs[best]):
                     return best
             whole = [f for f in sorted(self.pairs) if any(t <= mine for t in self.pairs[f])]
-            return whole[0] if len(whole) == 1 else "unknown"
-        if best == "none" and p.max() < self.threshold:
-            return "unknown"
-        return best
+            if len(whole) == 1:
+                return whole[0]
+            return "unknown" if cued or sure or whole else "none"
+        if best == "none":
+            return "unknown" if cued and not sure else "none"
+        return best if cued or sure else "none"
 
 
 @lru_cache(maxsize=2)
@@ -200,10 +207,10 @@ def model(seed: int = 5) -> Model:
 
 def _block(known: Model, lines: list[str]) -> list[str]:
     """The verdict of each line of a block without blank ones, joined lines included."""
-    out = [known.classify(line) for line in lines]
+    words = [_words(line) for line in lines]
+    out = [known.classify(*line) for line in zip(lines, words)]
     if len(lines) < 2:
         return out
-    words = [_words(line) for line in lines]
     taken: set[int] = set()
     for a, b in _joined(words, known.templates, known.known):
         if not taken.isdisjoint(range(a, b + 1)):

@@ -255,6 +255,12 @@ def test_wrapped_licences(spark):
     assert (got[0].paragraphs, got[2].paragraphs, got[0].n_paragraphs, got[2].n_paragraphs) == ("0:gpl", "1:mit", 4, 5)
 
 
+def test_licences_without_cue(spark):
+    texts = ["Text available under CC BY-SA 4.0.", "Apache 2.0", "a day\n\nunder CC BY 4.0\n\nhouse", "erth anse oulind thatou", "By."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.paragraphs for r in licenses.scan(df).orderBy("doc_id").collect()] == ["0:cc-by-sa", "0:unknown", "1:cc-by", "", ""]
+
+
 # ---- language
 
 
