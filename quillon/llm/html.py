@@ -10,13 +10,15 @@ marks its article or main part, only lines in it have length and any length is a
 surge, so a one-word paragraph stays.
 
 Defined results: null or empty html, or a page without such lines, gives the
-empty string; unclosed elements end with the page or where the article begins;
-repeated rows are treated alike; an empty table gives an empty table.
+empty string; unclosed elements end with the page or where the article begins
+(``_strip`` says where those without text do); repeated rows are treated alike;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
 
 import pyarrow as pa
@@ -28,7 +30,8 @@ from ._common import per_batch
 WINDOW = 3
 SURGE = 60
 
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|iframe|select|textarea|button)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)(noscript|template|svg|head|iframe|select|textarea|button|body|article|main)\b([^>]*)>", re.S | re.I)
+_META = re.compile(r"(?:\s+|<!--.*?-->|<(?:base|basefont|bgsound|link|meta)\b[^>]*>|<(title|script|style|noscript|template)\b[^>]*>.*?</\1\s*>)*", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPLIT = re.compile(r"[\s_\-]+")
@@ -41,13 +44,55 @@ _MAIN = frozenset("article main".split())
 _BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies dialog footer menu menubar modal nav navbar navigation newsletter notice notices popup promo related search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 
 
+def _strip(html: str) -> str:
+    """The page without comments and the elements whose content is no text.
+
+    Without its end tag such an element ends before the next body, article or
+    main, a head before what no head holds, any other at its own start tag; only
+    comments, scripts and styles run to the end of the page.
+    """
+    ends: dict[int, int] = {}
+    landmarks: list[int] = []
+    open_: dict[str, list[int]] = {}
+    cuts: list[tuple[int, int, str]] = []
+    for m in _RAW.finditer(html):
+        name = (m[3] or "").lower()
+        if not name:
+            cuts.append((*m.span(), ""))
+        elif name in ("body", "article", "main"):
+            if not m[2]:
+                landmarks.append(m.start())
+        elif m[2]:
+            if open_.get(name):
+                ends[open_[name].pop()] = m.end()
+            cuts.append((*m.span(), ""))
+        else:
+            if not m[4].endswith("/"):
+                open_.setdefault(name, []).append(m.start())
+            cuts.append((*m.span(), name))
+    unclosed = {start for starts in open_.values() for start in starts}
+    out, at = [], 0
+    for start, end, name in cuts:
+        if start < at:
+            continue
+        out += [html[at:start], " "]
+        at = ends.get(start, end)
+        if start in unclosed:
+            i = bisect_left(landmarks, start)
+            if name == "head":
+                at = _META.match(html, end).end()
+            elif i < len(landmarks):
+                at = landmarks[i]
+    return "".join([*out, html[at:]])
+
+
 def _named(attributes: str) -> set[str]:
     return {w.lower() for m in _NAMES.finditer(attributes) for w in _SPLIT.split(m[1] or m[2] or m[3] or "")}
 
 
 def lines(html: str) -> list[tuple[str, int, bool]]:
     """(text, length that counts, whether in a marked article) per block, in page order."""
-    html = _RAW.sub(" ", html)
+    html = _strip(html)
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     skip, depth, main, link, plain = "", 0, 0, 0, 0

@@ -109,6 +109,18 @@ def test_html():
     assert html.extract("plain") == "plain"
 
 
+def test_html_unclosed_raw_elements():
+    body = "<p>" + "some words of the article " * 5 + "</p>"
+    text = html.extract(f"<body>{body}</body>")
+    assert len(text) > 100
+    for page in (
+        f"<html><head><title>No</title><meta a=b><body>{body}", f"<head><title>No</title>{body}", f"<body><svg/>{body}", f'<body><svg width="1"/>{body}<svg><text>no</text></svg>',
+        f"<body><svg><path d=1><article>{body}</article>", f"<body><select><option>no<main>{body}</main><select></select>", f"<body>{body}<iframe>", f"<body><svg><svg>no</svg>no</svg>{body}", f"<body><template><article>no</article></template>{body}",
+    ):
+        assert html.extract(page) == text, page
+    assert html.extract(f"<body>{body}<script>var x = '<article>no</article>'") == text
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None)], "page_id long, url string, html string")
     got = sorted((r.page_id, r.text, r.n_chars) for r in html.extract_pages(df).collect())
