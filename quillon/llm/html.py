@@ -1,24 +1,35 @@
 """Main-text extraction from HTML by line-block distribution.
 
-Markup is stripped to lines, one per block element, each with the length of its
-text that is neither link text nor inside an element that never holds article
-text (menus, page headers and footers, sidebars, forms, notices, adverts, reader
-comments).  Lengths are summed over a sliding window of lines; the text starts
-where the sum surges above the threshold and ends where it dives to nothing, and
-the lines between that have any such length are the article.  Where the page
-marks its article or main part, only lines in it have length and any length is a
-surge, so a one-word paragraph stays.
+Markup is stripped to lines, one per block element.  Each line has a weight, the
+length of its text adjusted by what the markup says:
+
+* in a marked article or main part every line has its whole length and ``MARK``
+  more; on a page with such a part, other lines have ``ASIDE`` of theirs;
+* on a page without, text in paragraphs and headings has its length and ``TEXT``
+  more, other text half its length, and lines that are mostly links have none;
+* what is never article text (menus, page headers and footers, sidebars, forms,
+  notices, adverts, reader comments) weighs less than nothing.  Elements say so,
+  and class names, ids and roles where every part of the name does:
+  ``sidebar`` and ``comment-list``, but not ``with-sidebar``.
+
+Weights are summed over a sliding window of lines.  Text starts where the sum
+surges, at the first line of that window that has a good part of it, and ends
+where the sum dives under half of that; the lines between that weigh anything
+are the article.
 
 Defined results: null or empty html, or a page without such lines, gives the
-empty string; unclosed elements end with the page or where the article begins
-(``_strip`` says where those without text do); repeated rows are treated alike;
-an empty table gives an empty table.
+empty string; end tags may be missing (a paragraph or list item ends with the
+next, anything else with the element around it, ``_strip`` says where elements
+without text do); an article begins also inside an unclosed menu; texts of any
+length are taken whole; repeated rows are treated alike; an empty table gives an
+empty table; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -28,7 +39,9 @@ from pyspark.sql import functions as F
 from ._common import per_batch
 
 WINDOW = 3
-SURGE = 60
+#: Weight of a window that begins a text, where the page has such windows at all.
+SURGE = 60.0
+MARK, TEXT, ASIDE = 60.0, 30.0, 0.1
 
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)(noscript|template|svg|head|iframe|select|textarea|button|body|article|main)\b([^>]*)>", re.S | re.I)
 _META = re.compile(r"(?:\s+|<!--.*?-->|<(?:base|basefont|bgsound|link|meta)\b[^>]*>|<(title|script|style|noscript|template)\b[^>]*>.*?</\1\s*>)*", re.S | re.I)
@@ -36,12 +49,15 @@ _TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPLIT = re.compile(r"[\s_\-]+")
 
-# Element names and class words.
+# Element names and the words of class names.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OUTSIDE = frozenset("nav footer aside form menu dialog".split())
 _MAIN = frozenset("article main".split())
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
+_AGAIN = frozenset("p li dt dd tr td th option".split())
 _BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies dialog footer menu menubar modal nav navbar navigation newsletter notice notices popup promo related search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+_NEUTRAL = frozenset("area bar block body bottom box buttons col column container content group header inner item items left links list main page panel posts primary reader right secondary section site slot thread top wrap wrapper".split())
 
 
 def _strip(html: str) -> str:
@@ -86,88 +102,130 @@ def _strip(html: str) -> str:
     return "".join([*out, html[at:]])
 
 
-def _named(attributes: str) -> set[str]:
-    return {w.lower() for m in _NAMES.finditer(attributes) for w in _SPLIT.split(m[1] or m[2] or m[3] or "")}
+def _boilerplate(attributes: str) -> bool:
+    """Whether a class, id or role is named for boilerplate by all parts of its name."""
+    for m in _NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = [w.rstrip("0123456789") for w in _SPLIT.split(name)]
+            if not _BOILERPLATE.isdisjoint(words) and all(not w or w in _BOILERPLATE or w in _NEUTRAL for w in words):
+                return True
+    return False
 
 
-def lines(html: str) -> list[tuple[str, int, bool]]:
-    """(text, length that counts, whether in a marked article) per block, in page order."""
+@dataclass
+class Line:
+    """A block's text, the characters of it outside links, what holds it (1 a marked article, -1 boilerplate, 0 neither), and whether it is a paragraph or heading."""
+
+    text: str
+    plain: int
+    within: int
+    prose: bool
+
+
+def lines(html: str) -> list[Line]:
+    """The page's blocks in order."""
     html = _strip(html)
-    out: list[tuple[str, int, bool]] = []
+    out: list[Line] = []
     parts: list[str] = []
-    skip, depth, main, link, plain = "", 0, 0, 0, 0
+    #: open elements: name, what holds their text, and whether a marked article is around
+    open_: list[tuple[str, int, bool]] = []
+    link, plain, prose = 0, 0, False
 
     def end() -> None:
         nonlocal parts, plain
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append((text, plain, main > 0))
+                out.append(Line(text, plain, open_[-1][1] if open_ else 0, prose))
             parts, plain = [], 0
 
     at = 0
     for m in _TAG.finditer(html):
-        if not skip and m.start() > at:
+        if m.start() > at:
             piece = html[at : m.start()]
             parts.append(piece)
-            if not link or main:
-                plain += len(piece.strip())
+            plain += 0 if link else len(piece.strip())
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
         closing = bool(m[1])
-        if skip:
-            if name == skip:
-                depth += -1 if closing else (0 if m[3].endswith("/") else 1)
-                if depth <= 0:
-                    skip = ""
-            if not (name in _MAIN and not closing):
-                continue
-            skip = ""
         if name == "br":
             parts.append(" ")
-            continue
-        if name == "a":
+        elif name == "a":
             link = max(0, link + (-1 if closing else 1))
-        if name in _INLINE:
+        if name in _INLINE or name == "br":
             continue
         end()
-        if name in _MAIN:
-            main = max(0, main + (-1 if closing else 1))
-            link = 0
-        elif not closing and name not in _VOID and name not in ("html", "body") and not m[3].endswith("/"):
-            if name in _OUTSIDE or (name == "header" and not main) or (m[3] and not _BOILERPLATE.isdisjoint(_named(m[3]))):
-                skip, depth = name, 1
-    if not skip and at < len(html):
+        link, prose = 0, not closing and name in _PROSE
+        if name in _VOID or name in ("html", "body"):
+            continue
+        if closing:
+            i = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
+            if i is not None and not (name in _AGAIN and any(n not in _AGAIN for n, _, _ in open_[i + 1 :])):
+                del open_[i:]
+            continue
+        if m[3].endswith("/"):
+            continue
+        while open_ and (open_[-1][0] == "p" or open_[-1][0] == name and name in _AGAIN):
+            open_.pop()
+        _, within, marked = open_[-1] if open_ else ("", 0, False)
+        if name in _MAIN and not (marked and within < 0):
+            within, marked = 1, True
+        elif name in _OUTSIDE or name == "header" and within < 1:
+            within = -1
+        if m[3] and _boilerplate(m[3]):
+            within = -1
+        open_.append((name, within, marked))
+    if at < len(html):
         parts.append(html[at:])
-        plain += 0 if link and not main else len(html[at:].strip())
+        plain += 0 if link else len(html[at:].strip())
     end()
     return out
 
 
-def extract(html: str | None) -> str:
-    if not html:
-        return ""
-    found = lines(html)
-    marked = any(inside for _, _, inside in found)
-    # of unmarked lines, those that are mostly links have no length
-    weight = [n if not marked or inside else 0 for _, n, inside in found]
-    if not marked:
-        weight = [n if 2 * n > len(text) else 0 for n, (text, _, _) in zip(weight, found)]
-    surge = 1 if marked else SURGE
-    total = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
-    if total and max(total) < surge:
-        surge = max(1, max(total))
+def weights(found: list[Line]) -> list[float]:
+    marked = any(line.within > 0 for line in found)
+    out = []
+    for line in found:
+        n = len(line.text)
+        if line.within < 0:
+            out.append(-float(n))
+        elif line.within > 0:
+            out.append(n + MARK)
+        elif 2 * line.plain <= n:
+            out.append(0.0)
+        elif marked:
+            out.append(ASIDE * line.plain)
+        else:
+            out.append(line.plain + TEXT if line.prose else line.plain / 2)
+    return out
+
+
+def between(weight: list[float]) -> list[int]:
+    """Numbers of the lines between surge and dive that weigh anything."""
+    own = [max(0.0, w) for w in weight]
+    total = [sum(own[i : i + WINDOW]) for i in range(len(own))]
+    surge = min(SURGE, max(total, default=0.0))
+    if not surge:
+        return []
     keep, inside = [], False
     for i, n in enumerate(total):
         if not inside and n >= surge:
-            inside = True
-        elif inside and n == 0:
+            # the surge lies at the first line that has a good part of the window, at most its last
+            inside = 2 * own[i] >= surge or not any(2 * w >= surge for w in own[i : i + WINDOW])
+        elif inside and 2 * n < surge:
             inside = False
-        if inside and weight[i]:
-            keep.append(found[i][0])
-    return " ".join(keep)
+        if inside and own[i]:
+            keep.append(i)
+    return keep
+
+
+def extract(html: str | None) -> str:
+    if not html:
+        return ""
+    found = lines(html)
+    return " ".join(found[i].text for i in between(weights(found)))
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
