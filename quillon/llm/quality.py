@@ -1,9 +1,12 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a rejection test on the text with an estimate of its work.  On a
-bounded sample the operator finds, for every rule, the mean work and which
-documents it rejects; rules are then put in order greedily by documents newly
-rejected per unit of work among those that earlier rules let through.  The
+A text's words are split once; counts that rules need are computed from them
+where a rule asks for them.  On a sample of about ``SAMPLE_ROWS`` rows, every row
+of the table as likely as any other, the operator finds for every rule which
+texts it rejects and its mean work: the characters, words, lines and matches that
+its counts go through on these texts, by what one of each costs; counts that the
+result needs anyway cost nothing.  Rules are then put in order greedily by texts
+newly rejected per unit of work among those that earlier rules let through.  The
 cascade is one CASE expression in that order, so a document stops at the first
 rule that rejects it.  The order changes the cost only: the verdict is that of
 all rules together.
@@ -12,24 +15,26 @@ Words are ``[^\\x20\\x09-\\x0D]+``.  Repeated three-word windows are found by
 sorting 64-bit window hashes, in n log n for a text of any length.
 
 Defined results: a null text has no words, fails the base rules and is not kept;
-repeated rows are judged alike; an empty table gives an empty table; columns of
-the input keep their values (``apply`` adds ``kept`` or, with ``drop=True``,
-returns the kept rows with the input's columns).
+repeated rows are judged alike; of rules with equal rejection per work the
+cheaper, then the one listed first comes first; an empty table gives an empty
+table and the rules as listed; columns of the input keep their values.  ``apply``
+adds ``kept`` (with underscores behind it where the input has such a column) or,
+with ``drop=True``, returns the kept rows with the input's columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 2000
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 _SPACE = r"[\x20\x09-\x0D]+"
-_SYMBOLS = "#*$%&|<>"
+_SYMBOLS = r"[^#*$%&|<>]++"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -38,24 +43,17 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), _SPACE), "")
+    return F.array_remove(F.split(text, _SPACE), "")
 
 
 def lines(text: Column) -> Column:
     """Lines with a word."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def word_chars(w: Column) -> Column:
-    return F.length(F.array_join(w, ""))
-
-
-def n_symbols(text: Column) -> Column:
-    return F.coalesce(F.length(text) - F.length(F.translate(text, _SYMBOLS, "")), F.lit(0))
-
-
-def n_char(text: Column, char: str) -> Column:
-    return F.coalesce(F.length(text) - F.length(F.replace(text, F.lit(char), F.lit(""))), F.lit(0))
+def _left(text: Column, pattern: str) -> Column:
+    """Characters outside the runs of a pattern; no match becomes a value of its own."""
+    return F.length(F.regexp_replace(text, pattern, ""))
 
 
 def n_dup_lines(ls: Column) -> Column:
@@ -80,95 +78,160 @@ def n_repeat_words(w: Column) -> Column:
         found = _let(by_hash, starts)
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(_let(found, covered))
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    windows = _let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(F.slice(h, 1, F.size(h) - 2), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))))
     return F.when(F.size(w) < 4, 0).otherwise(_let(windows, repeated))
 
 
 @dataclass(frozen=True)
-class Rule:
-    """``rejects(text)`` is true for a document to drop; ``work(text)`` is a number in proportion to the cost of that test."""
-
-    name: str
-    rejects: Callable[[Column], Column]
-    work: Callable[[Column], Column]
+class Text:
+    """Counts of a text that is not null, each an expression over the text and its words, or a column that holds it already."""
+
+    text: Column
+    words: Column
+    known: dict[str, Column] = field(default_factory=dict)
+
+    def count(self, name: str) -> Column:
+        return self.known[name] if name in self.known else _COUNTS[name](self)
+
+    def price(self, name: str) -> Column:
+        """Work of the count on this text, in what one character of a scan costs."""
+        return F.lit(0.0) if name in self.known else _PRICES[name](self).cast("double")
+
+
+_COUNTS: dict[str, Callable[[Text], Column]] = {
+    "n_words": lambda x: F.size(x.words),
+    "word_chars": lambda x: F.length(F.array_join(x.words, "")),
+    "n_symbols": lambda x: _left(x.text, _SYMBOLS),
+    "exclamations": lambda x: F.length(x.text) - F.length(F.replace(x.text, F.lit("!"), F.lit(""))),
+    "capitals": lambda x: _left(x.text, r"\P{Lu}++"),
+    "letters": lambda x: F.length(x.text) - _left(x.text, r"\p{L}++"),
+    "n_lines": lambda x: F.size(lines(x.text)),
+    "n_dup_lines": lambda x: _let(lines(x.text), n_dup_lines),
+    "n_repeat_words": lambda x: n_repeat_words(x.words),
+}
+_CHARS = lambda x: F.length(x.text)
+#: What counts go through: characters once each, and matches, words or lines by what handling one costs beside.
+_PRICES: dict[str, Callable[[Text], Column]] = {
+    "n_words": lambda x: F.lit(1),
+    "word_chars": lambda x: 2 * x.count("n_words"),
+    "n_symbols": lambda x: _CHARS(x) + 8 * x.count("n_symbols"),
+    "exclamations": lambda x: 0.3 * _CHARS(x) + 2 * x.count("exclamations"),
+    "capitals": lambda x: _CHARS(x) + 8 * x.count("capitals"),
+    "letters": lambda x: _CHARS(x) + 8 * x.count("n_words"),
+    "n_lines": lambda x: 0.2 * _CHARS(x) + 20 * x.count("n_lines"),
+    "n_dup_lines": lambda x: 0.2 * _CHARS(x) + 40 * x.count("n_lines"),
+    "n_repeat_words": lambda x: x.count("n_words") * (20 + F.log2(x.count("n_words") + F.lit(1))),
+}
 
 
-def _chars(factor: float) -> Callable[[Column], Column]:
-    return lambda text: F.length(F.coalesce(text, F.lit(""))) * F.lit(factor)
+@dataclass(frozen=True)
+class Rule:
+    """``rejects`` is true for a text to drop; its work is that of the counts it ``needs``, or ``work``."""
 
+    name: str
+    rejects: Callable[[Text], Column]
+    needs: tuple[str, ...] = ()
+    work: Callable[[Text], Column] | None = None
 
-def _of_words(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda text: _let(words(text), test)
+    def price(self, x: Text) -> Column:
+        if self.work is not None:
+            return self.work(x).cast("double")
+        return sum((x.price(n) for n in self.needs), F.lit(1.0))
 
 
 BASE = (
-    Rule("few_words", lambda t: F.size(words(t)) < MIN_WORDS, _chars(1.0)),
-    Rule("repeats", _of_words(lambda w: 100 * n_repeat_words(w) > REPEAT_PERCENT * F.size(w)), _chars(8.0)),
+    Rule("few_words", lambda x: x.count("n_words") < MIN_WORDS, ("n_words",)),
+    Rule("repeats", lambda x: 100 * x.count("n_repeat_words") > REPEAT_PERCENT * x.count("n_words"), ("n_repeat_words",)),
 )
 RULES = (
-    Rule("symbols", lambda t: 5 * n_symbols(t) > F.size(words(t)), _chars(3.0)),
-    Rule("exclamations", lambda t: 5 * n_char(t, "!") > F.size(words(t)), _chars(1.5)),
-    Rule("capitals", lambda t: 2 * F.regexp_count(F.coalesce(t, F.lit("")), F.lit(r"\p{Lu}")) > word_chars(words(t)), _chars(5.0)),
-    Rule("letters", lambda t: 2 * F.regexp_count(F.coalesce(t, F.lit("")), F.lit(r"\p{L}")) < word_chars(words(t)), _chars(5.0)),
-    Rule("word_length", _of_words(lambda w: (word_chars(w) > 15 * F.size(w)) | (word_chars(w) < 2 * F.size(w))), _chars(2.0)),
-    Rule("same_lines", lambda t: _let(lines(t), lambda ls: (F.size(ls) >= 4) & (2 * n_dup_lines(ls) > F.size(ls))), _chars(1.2)),
+    Rule("symbols", lambda x: 5 * x.count("n_symbols") > x.count("n_words"), ("n_symbols",)),
+    Rule("exclamations", lambda x: 5 * x.count("exclamations") > x.count("n_words"), ("exclamations",)),
+    Rule("capitals", lambda x: 2 * x.count("capitals") > x.count("word_chars"), ("capitals", "word_chars")),
+    Rule("letters", lambda x: 2 * x.count("letters") < x.count("word_chars"), ("letters", "word_chars")),
+    Rule("word_length", lambda x: (x.count("word_chars") > 15 * x.count("n_words")) | (x.count("word_chars") < 2 * x.count("n_words")), ("word_chars",)),
+    Rule("same_lines", lambda x: (x.count("n_lines") >= 4) & (2 * x.count("n_dup_lines") > x.count("n_lines")), ("n_lines", "n_dup_lines")),
 )
 
 
-def order(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by documents newly rejected per unit of work on the first ``sample_rows`` rows (small tuples, no texts, come back)."""
-    t = F.col(f"`{text}`").cast("string")
-    probe = docs.select(t.alias("t")).limit(sample_rows)
-    seen = probe.select(*[r.rejects(F.col("t")).alias(f"r{i}") for i, r in enumerate(rules)], *[r.work(F.col("t")).alias(f"w{i}") for i, r in enumerate(rules)]).collect()
-    if not seen:
+def _over(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the text, empty for null, and its words, split once."""
+    return _let(F.coalesce(text, F.lit("")), lambda t: _let(words(t), lambda w: body(t, w)))
+
+
+def _drawn(docs: DataFrame, text: str, sample_rows: int) -> DataFrame:
+    t = docs.select(F.col(f"`{text}`").cast("string").alias("t"))
+    n = docs.count()
+    return t if n <= sample_rows else t.sample(False, sample_rows / n, seed=11)
+
+
+def order(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS, known: Sequence[str] = ()) -> list[Rule]:
+    """The rules by texts newly rejected per unit of work on about ``sample_rows`` rows (a number and a truth value per rule and row come back).
+
+    ``known`` counts are those that are computed in any case.
+    """
+
+    def seen(t: Column, w: Column) -> Column:
+        plain = Text(t, w)
+        x = Text(t, w, {name: plain.count(name) for name in known})
+        return F.struct(F.array(*[F.coalesce(r.rejects(x), F.lit(True)) for r in rules]).alias("rejects"), F.array(*[r.price(x) for r in rules]).alias("work"))
+
+    rows = _drawn(docs, text, sample_rows).select(_over(F.col("t"), seen).alias("x")).select("x.rejects", "x.work").collect() if rules else []
+    if not rows:
         return list(rules)
-    work = [max(1e-9, sum(row[f"w{i}"] for row in seen) / len(seen)) for i in range(len(rules))]
-    left, todo, out = seen, list(range(len(rules))), []
+    work = [max(1e-9, sum(row.work[i] for row in rows) / len(rows)) for i in range(len(rules))]
+    left, todo, out = rows, list(range(len(rules))), []
     while todo:
-        gain = {i: sum(bool(row[f"r{i}"]) for row in left) / work[i] for i in todo}
+        gain = {i: sum(row.rejects[i] for row in left) / work[i] for i in todo}
         best = max(todo, key=lambda i: (gain[i], -work[i], -i))
         out.append(rules[best])
         todo.remove(best)
-        left = [row for row in left if not row[f"r{best}"]]
+        left = [row for row in left if not row.rejects[best]]
     return out
 
 
-def cascade(text: Column, ordered: Sequence[Rule]) -> Column:
+def passes(x: Text, ordered: Sequence[Rule]) -> Column:
     """True if no rule rejects the text; rules after the first that rejects it are not evaluated."""
     passed: Column = F.lit(True)
     for rule in reversed(ordered):
-        passed = F.when(F.coalesce(rule.rejects(text), F.lit(True)), False).otherwise(passed)
+        passed = F.when(F.coalesce(rule.rejects(x), F.lit(True)), False).otherwise(passed)
     return passed
 
 
+def cascade(text: Column, ordered: Sequence[Rule]) -> Column:
+    return _over(text, lambda t, w: passes(Text(t, w), ordered))
+
+
 def apply(docs: DataFrame, rules: Sequence[Rule] = BASE + RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS, drop: bool = False) -> DataFrame:
     """The rows with ``kept`` added, or only the kept rows."""
     verdict = cascade(F.col(f"`{text}`").cast("string"), order(docs, rules, text, sample_rows))
-    return docs.where(verdict) if drop else docs.withColumn("kept", verdict)
+    if drop:
+        return docs.where(verdict)
+    name = "kept"
+    while name in docs.columns:
+        name += "_"
+    return docs.select("*", verdict.alias(name))
+
+
+#: Counts that the report holds, whatever the verdict.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Per document: the base counts, base_failed, and kept, the cascade's verdict on what the base lets through."""
-    ordered = order(docs, rules, text, sample_rows)
-    t = F.col("t")
-    counted = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").cast("string").alias("t")).select(
-        key,
-        "t",
-        _let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), word_chars(w).cast("long").alias("word_chars"), n_repeat_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
-        n_symbols(t).cast("long").alias("n_symbols"),
-        _let(lines(t), n_dup_lines).cast("long").alias("n_dup_lines"),
-    )
-    failed = (F.col("w.n_words") < MIN_WORDS) | (100 * F.col("w.n_repeat_words") > REPEAT_PERCENT * F.col("w.n_words"))
-    return counted.select(
-        key,
-        "w.n_words",
-        "w.word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "w.n_repeat_words",
-        failed.alias("base_failed"),
-        F.when(failed, False).otherwise(cascade(t, ordered)).alias("kept"),
-    )
+    """Per document: the base counts, base_failed, and kept, the cascade's verdict; the base rules, whose counts are known, are part of it."""
+    ordered = order(docs, (*BASE, *rules), text, sample_rows, known=REPORTED)
+
+    def judged(t: Column, w: Column) -> Column:
+        x = Text(t, w)
+        counts = F.struct(*[x.count(name).cast("long").alias(name) for name in REPORTED])
+
+        def verdict(c: Column) -> Column:
+            y = Text(t, w, {name: c[name] for name in REPORTED})
+            failed = BASE[0].rejects(y) | BASE[1].rejects(y)
+            return F.struct(*[c[name].alias(name) for name in REPORTED], failed.alias("base_failed"), passes(y, ordered).alias("kept"))
+
+        return _let(counts, verdict)
+
+    return docs.select(F.col(f"`{key}`").alias(key), _over(F.col(f"`{text}`").cast("string"), judged).alias("x")).select(F.col(f"`{key}`"), *[f"x.{name}" for name in (*REPORTED, "base_failed", "kept")])
 
 
 #: DuckDB's view of ``report``; kept is the conjunction of all rules.

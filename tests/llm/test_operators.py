@@ -86,13 +86,6 @@ def test_quality_order_changes_no_verdict(docs):
     assert {i for i, k in one.items() if k} == {r.doc_id for r in quality.apply(docs, drop=True).collect()}
 
 
-def test_quality_orders_by_rejection_per_work(docs):
-    cheap = quality.Rule("cheap", lambda t: t.isNull() | (quality.F.length(t) < 5), lambda t: quality.F.lit(1))
-    dear = quality.Rule("dear", lambda t: t.isNull() | (quality.F.length(t) < 5), lambda t: quality.F.lit(50))
-    never = quality.Rule("never", lambda t: quality.F.lit(False), lambda t: quality.F.lit(1))
-    assert [r.name for r in quality.order(docs, [never, dear, cheap])][0] == "cheap"
-
-
 # ---- html
 
 PAGE = """<html><head><title>No</title><script>var t="</p>";</script></head><body><header>Head</header><nav><ul><li><a href=1>Menu</a></li></ul></nav>
