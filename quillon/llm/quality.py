@@ -30,6 +30,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import fresh
+
 SAMPLE_ROWS = 2000
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -206,10 +208,7 @@ def apply(docs: DataFrame, rules: Sequence[Rule] = BASE + RULES, text: str = "te
     verdict = cascade(F.col(f"`{text}`").cast("string"), order(docs, rules, text, sample_rows))
     if drop:
         return docs.where(verdict)
-    name = "kept"
-    while name in docs.columns:
-        name += "_"
-    return docs.select("*", verdict.alias(name))
+    return docs.select("*", verdict.alias(fresh("kept", docs.columns)))
 
 
 #: Counts that the report holds, whatever the verdict.

@@ -102,6 +102,18 @@ class Words:
         return out
 
 
+def whole(texts: pa.Array, lut: np.ndarray) -> Words:
+    """The words of all texts as one run, hashed run by run."""
+    runs = [run for _, run in slices(texts, lut)]
+    out = object.__new__(Words)
+    bytes_, words = (np.cumsum([0, *map(len, parts)]) for parts in ([r.data for r in runs], [r.hashes for r in runs]))
+    joined = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)])
+    out.data, out.hashes = joined([r.data for r in runs], np.uint8), joined([r.hashes for r in runs], U)
+    out.lo, out.hi = (joined([getattr(r, x) + a for r, a in zip(runs, bytes_)], np.int64) for x in ("lo", "hi"))
+    out.first = np.concatenate([np.zeros(1, np.int64), *[r.first[1:] + a for r, a in zip(runs, words)]])
+    return out
+
+
 def slices(texts: pa.Array, lut: np.ndarray):
     """Yield (first row, Words) for runs of about ``CHUNK`` bytes; a longer text is a run of its own.  Null is empty."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
