@@ -62,9 +62,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of a run of texts: ``hashes``, byte bounds ``lo``/``hi`` in ``data``, and ``first`` (word offsets per text)."""
+    """Words of a run of texts: ``hashes``, byte bounds ``lo``/``hi`` in ``data`` (folded) and ``raw``, and ``first`` (word offsets per text)."""
 
-    __slots__ = ("data", "first", "hashes", "hi", "lo")
+    __slots__ = ("data", "first", "hashes", "hi", "lo", "raw")
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, lut: np.ndarray):
         n = len(data)
@@ -90,7 +90,7 @@ class Words:
         h = mix(h + (hi - lo).astype(U) * U(0xD6E8FEB86659FD93))
         for i in long:
             h[i] = int.from_bytes(hashlib.blake2b(folded[lo[i] : hi[i]].tobytes(), digest_size=8).digest(), "little")
-        self.data, self.lo, self.hi, self.hashes = folded, lo, hi, h
+        self.raw, self.data, self.lo, self.hi, self.hashes = data, folded, lo, hi, h
         self.first = np.searchsorted(lo, bounds)
 
     def shingles(self, k: int) -> np.ndarray:

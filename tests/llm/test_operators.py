@@ -230,42 +230,6 @@ def test_edit_table(docs, texts, library):
         assert r.n_tokens == len(library.encode_ordinary(texts[r.doc_id] or "")) and r.n_edits == 3
 
 
-# ---- licences
-
-
-def test_licences(spark):
-    known = licenses.model()
-    for family, templates in licenses.TEMPLATES.items():
-        assert [known.classify(t) for t in templates] == [family] * len(templates)
-    assert {known.classify(t) for t in licenses.UNSEEN} == {"unknown"}
-    assert {known.classify(t) for t in licenses.ORDINARY} == {"none"}
-    df = spark.createDataFrame([(1, "x\nReleased under the MIT License.\n\ny"), (2, None), (3, "")], "doc_id long, text string")
-    got = {r.doc_id: r for r in licenses.scan(df).collect()}
-    assert (got[1].n_paragraphs, got[1].families, got[1].paragraphs) == (3, "mit", "1:mit")
-    assert (got[2].n_paragraphs, got[2].families) == (0, "")
-
-
-GNU = """This program is free software: you can redistribute it and/or modify
-it under the terms of the GNU General Public License as published by
-the Free Software Foundation, either version 3 of the License, or
-(at your option) any later version."""
-
-
-def test_wrapped_licences(spark):
-    texts = [GNU, "title of a tool\n" + GNU + "\nand code below\n" * 50, "a\n\nPermission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and associated\ndocumentation files\n\nb", GNU + "\nReleased under the zlib License.", "Released under the MIT License.\nprose of the day"]
-    got = [r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()]
-    assert [r.families for r in got] == ["gpl", "gpl", "mit", "gpl", "mit"]
-    assert [r.n_license for r in got] == [1, 1, 1, 1, 1]
-    assert [r.n_unknown for r in got] == [0, 0, 0, 1, 0]
-    assert (got[0].paragraphs, got[2].paragraphs, got[0].n_paragraphs, got[2].n_paragraphs) == ("0:gpl", "1:mit", 4, 5)
-
-
-def test_licences_without_cue(spark):
-    texts = ["Text available under CC BY-SA 4.0.", "Apache 2.0", "a day\n\nunder CC BY 4.0\n\nhouse", "erth anse oulind thatou", "By."]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert [r.paragraphs for r in licenses.scan(df).orderBy("doc_id").collect()] == ["0:cc-by-sa", "0:unknown", "1:cc-by", "", ""]
-
-
 # ---- language
 
 
