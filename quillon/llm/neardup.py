@@ -21,8 +21,8 @@ Result: one row per document with its set's size and component, the smallest
 doc_id that links reach.  Defined results: a null or wordless text has an empty
 set, 0 shingles and itself as component; a text of fewer than ``k`` words has
 its whole word sequence as one shingle; repeated rows link as copies; an empty
-table gives an empty table; other columns are not looked at.  A null key has a
-null component.
+table gives an empty table; other columns are not looked at.  Keys are whole
+numbers, any other type raises TypeError; a null key has a null component.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import ROWS, cut, keyed_text
 from .components import components, few
@@ -46,6 +47,8 @@ MISS = 1e-8
 CHUNK = 128
 ROUNDS = 3
 SALTS = 64
+#: A class of more than this part of the rows is large; there are fewer such classes than this.
+LARGE = 2000
 _U = np.uint64
 
 
@@ -173,6 +176,8 @@ def _chunks(rows) -> F.Column:
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) per document; pairs link when den * |A & B| >= num * |A | B|."""
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} is no whole number")
     slim = keyed_text(docs, key, text).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
     rows, count = bands(num / den)
     all_docs = cut(slim.mapInArrow(_summarise(k, rows, count), "id long, n long, d1 long, d2 long, sigs array<long>"))
@@ -195,14 +200,25 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str =
     if not large.isEmpty():
         found = _across(large, found, links)
     labels = components(found).withColumnRenamed("node", "id")
-    parts = reps_with_labels(all_docs, labels)
-    out = all_docs.select("id", "n", "d1", "d2").join(parts, ["d1", "d2"], "left")
+    out = _labelled(all_docs, labels)
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def reps_with_labels(all_docs: DataFrame, labels: DataFrame) -> DataFrame:
-    reps = all_docs.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"))
-    return reps.join(labels, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("component"))
+def _labelled(all_docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents with their class's component.
+
+    Classes of more than a ``LARGE``-th of the rows, fewer than ``LARGE``, are
+    broadcast; the others are joined by digest, and none of them is large.
+    """
+    reps = all_docs.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count("*").alias("c"))
+    parts = cut(few(reps.join(labels, "id", "left").select("d1", "d2", "c", F.coalesce("label", "id").alias("component"))))
+    least = all_docs.count() // LARGE
+    large = F.broadcast(parts.where(F.col("c") > least).drop("c")) if least else None
+    slim = all_docs.select("id", "n", "d1", "d2")
+    if large is None:
+        return slim.join(parts.drop("c"), ["d1", "d2"], "left")
+    rest = slim.join(large.select("d1", "d2"), ["d1", "d2"], "left_anti").join(parts.where(F.col("c") <= least).drop("c"), ["d1", "d2"], "left")
+    return slim.join(large, ["d1", "d2"]).unionByName(rest)
 
 
 def _across(large: DataFrame, found: DataFrame, links) -> DataFrame:
