@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, discard
 
 #: Edges that a task contracts at a time.
 EDGES = 500_000
@@ -61,11 +61,15 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(few(edges.union(edges.select("b", "a")).toDF("u", "v").distinct()))
     labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
     labels = cut(few(labels))
+    discard(edges)
+    last = labels
     while True:
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
         lowest = near.join(labels, near["u"] == labels["node"]).select("node", F.least("label", "m").alias("low"), F.col("label").alias("was"))
         up = labels.select(F.col("node").alias("low"), F.col("label").alias("top"))
         moved = cut(few(lowest.join(up, "low").select("node", F.least("low", "top").alias("label"), "was")))
-        labels = moved.select("node", "label")
+        discard(last)
+        last, labels = moved, moved.select("node", "label")
         if moved.where("label <> was").isEmpty():
+            discard(both)
             return labels

@@ -13,8 +13,10 @@ held out (crc32 of doc_id modulo 4 is not 2): of each language its share, but
 about ``LEAST_ROWS`` at least, or all where it has fewer.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
-so is every text if there is no labelled document; repeated rows are predicted
-alike; an empty table gives an empty table; other columns are not looked at.
+so is every text if there is no labelled document; of centroids that are equally
+near, that of the first language by name wins; texts of any length are predicted
+from the whole text; repeated rows are predicted alike; an empty table gives an
+empty table; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -102,7 +104,8 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        near = self.weigh(counts(texts)) @ self.centroids.T
+        # rounded, as the last digits depend on what else is in the batch
+        near = np.round((self.weigh(counts(texts)) @ self.centroids.T).astype(float), 5)
         best = near.argmax(axis=1)
         lang, score, rejected = [], [], []
         for i, t in enumerate(texts):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import ROWS, cut, keyed_text
+from ._common import ROWS, cut, discard, keyed_text
 from .components import components, few
 from .counttree import linked
 from .wordhash import SPACED, mix, sets, slices
@@ -200,6 +200,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str =
     if not large.isEmpty():
         found = _across(large, found, links)
     labels = components(found).withColumnRenamed("node", "id")
+    discard(found, members)
     out = _labelled(all_docs, labels)
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
 

@@ -9,8 +9,9 @@ between, and updates the sums above the touched leaves.
 
 Defined results: a null text is empty and has 0 tokens; an edit's start and
 length are cut to the text; a null list of edits is an empty one; edits apply
-one after the other, each to the text that the ones before it left; repeated rows
-count alike; an empty table gives an empty table; other columns stay out.
+one after the other, each to the text that the ones before it left; texts of any
+length are counted whole; repeated rows count alike; an empty table gives an
+empty table; other columns, whatever their names, stay out.
 """
 
 from __future__ import annotations
