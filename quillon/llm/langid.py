@@ -48,11 +48,12 @@ def counts(texts: list[str | None]) -> np.ndarray:
     """Trigram counts, a row per text."""
     raw = [b" " + (t or "").lower().encode("utf-8", "replace") + b" " for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
-    row = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+    sizes = np.array([len(r) for r in raw], np.int64)
+    row = np.repeat(np.arange(len(raw)), sizes)
     letter = _KEEP[data]
     use = letter.copy()
     use[1:] |= letter[:-1]  # the first of each run of other bytes is the space
-    use[0] = True
+    use[np.cumsum(sizes) - sizes] = True  # every text begins with one
     code, row = np.where(letter[use], data[use], 32).astype(np.uint32), row[use]
     if len(code) < 3:
         return np.zeros((len(texts), BUCKETS), np.float32)
