@@ -6,7 +6,7 @@ length of its text adjusted by what the markup says:
 * in a marked article or main part every line has its whole length and ``MARK``
   more; on a page with such a part, other lines have ``ASIDE`` of theirs;
 * on a page without, text in paragraphs and headings has its length and ``TEXT``
-  more, other text half its length, and lines that are mostly links have none;
+  more, other text ``PLAIN`` of its length, and lines that are mostly links none;
 * what is never article text (menus, page headers and footers, sidebars, forms,
   notices, adverts, reader comments) weighs less than nothing.  Elements say so,
   and class names, ids and roles where every part of the name does:
@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from ._common import per_batch
 
 WINDOW = 3
-#: Weight of a window that begins a text, where the page has such windows at all.
-SURGE = 60.0
-MARK, TEXT, ASIDE = 60.0, 30.0, 0.1
+#: Weight of a window that begins a text, or half of the heaviest one's, if that is less.
+SURGE = 120.0
+MARK, TEXT, PLAIN, ASIDE = 60.0, 60.0, 0.3, 0.1
 
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)(noscript|template|svg|head|iframe|select|textarea|button|body|article|main)\b([^>]*)>", re.S | re.I)
 _META = re.compile(r"(?:\s+|<!--.*?-->|<(?:base|basefont|bgsound|link|meta)\b[^>]*>|<(title|script|style|noscript|template)\b[^>]*>.*?</\1\s*>)*", re.S | re.I)
@@ -198,7 +198,7 @@ def weights(found: list[Line]) -> list[float]:
         elif marked:
             out.append(ASIDE * line.plain)
         else:
-            out.append(line.plain + TEXT if line.prose else line.plain / 2)
+            out.append(line.plain + TEXT if line.prose else PLAIN * line.plain)
     return out
 
 
@@ -206,7 +206,7 @@ def between(weight: list[float]) -> list[int]:
     """Numbers of the lines between surge and dive that weigh anything."""
     own = [max(0.0, w) for w in weight]
     total = [sum(own[i : i + WINDOW]) for i in range(len(own))]
-    surge = min(SURGE, max(total, default=0.0))
+    surge = min(SURGE, max(total, default=0.0) / 2)
     if not surge:
         return []
     keep, inside = [], False
