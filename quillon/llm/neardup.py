@@ -1,15 +1,14 @@
-"""N-gram Jaccard join: a count-vector R-tree over distinct shingle sets.
+"""N-gram Jaccard join: count vectors of shingle sets in a distributed index and R-trees.
 
 1.  One pass over the texts gives each document's shingle count, a 128-bit digest
-    of its set and routing signatures.  Equal sets become one class, kept by its
-    smallest document, so exact copies never meet each other again.
-2.  Classes are routed to blocks by banded minimum hashes.  The count vectors of
-    an R-tree cannot route by themselves: two unrelated sets differ by a count or
-    two per coordinate while linked ones may differ by as much in any single one,
-    so only the sum over all coordinates tells them apart and no split of the
-    space separates them.  The bands are so many that a linked pair shares none
-    with a probability under ``MISS`` each.
-3.  Blocks are merged to clusters, and each cluster is joined in chunks of at
+    of its set, its point (how many shingles fall into each group) and its keys in
+    the index.  Equal sets become one class, kept by its smallest document, so
+    exact copies never meet each other again.
+2.  Classes that share a key, a block of the count vectors in which linked sets
+    must agree, meet as points, and pairs whose summed coordinate minima reach the
+    similarity become edges (``routing``; below a similarity of 0.87 keys are
+    minimum hashes).
+3.  Chains of edges make clusters, and each cluster is joined in chunks of at
     most ``CHUNK`` classes: R-tree candidates by summed coordinate minima, then
     exact verification of every surviving pair that isn't joined already.
 4.  A cluster of more than one chunk goes on: the smallest classes of its parts
@@ -28,7 +27,6 @@ numbers, any other type raises TypeError; a null key has a null component.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,54 +38,21 @@ from pyspark.sql import types as T
 from ._common import ROWS, cut, discard, keyed_text
 from .components import components, few
 from .counttree import linked
-from .wordhash import SPACED, mix, sets, slices
+from .routing import edges, packed, router
+from .wordhash import SPACED, sets, slices
 
-#: Probability that routing misses a pair just at the similarity.
-MISS = 1e-8
 CHUNK = 128
 ROUNDS = 3
 SALTS = 64
 #: A class of more than this part of the rows is large; there are fewer such classes than this.
 LARGE = 2000
-_U = np.uint64
-
-
-def bands(similarity: float) -> tuple[int, int]:
-    """(rows of a band, bands): the longest rows whose bands stay within 160 hashes."""
-    best = (1, 1)
-    for rows in range(1, 9):
-        hit = similarity**rows
-        count = 1 if hit >= 1 else math.ceil(math.log(MISS) / math.log1p(-hit))
-        if rows * count <= 160:
-            best = (rows, count)
-    return best
-
-
-class Router:
-    def __init__(self, rows: int, count: int):
-        self.rows, self.count = rows, count
-        odd = mix(np.arange(1, rows * count + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
-        self.factors = odd[:, None]
-        self.salt = mix(np.arange(1, count + 1, dtype=_U) * _U(0xD1B54A32D192ED03))
-
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        low = np.full(self.rows * self.count, ~_U(0), _U)
-        for at in range(0, len(tokens), 2048):
-            np.minimum(low, (tokens[None, at : at + 2048] * self.factors).min(axis=1), out=low)
-        low = low.reshape(self.count, self.rows)
-        out = self.salt.copy()
-        for j in range(self.rows):
-            out = mix(out * _U(0xE7037ED1A0B428DB) + low[:, j])
-        return out
-
-
-def _summarise(k: int, rows: int, count: int):
+def _summarise(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        router = Router(rows, count)
+        keyed = router(num, den)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                n, d1, d2, sigs = [], [], [], []
+                n, d1, d2, spots, keys = [], [], [], [], []
                 for _, words in slices(batch.column(1), SPACED):
                     grams = words.shingles(k)
                     for row in range(len(words.first) - 1):
@@ -96,55 +61,15 @@ def _summarise(k: int, rows: int, count: int):
                         n.append(len(tokens))
                         d1.append(int.from_bytes(digest[:8], "little", signed=True))
                         d2.append(int.from_bytes(digest[8:], "little", signed=True))
-                        sigs.append(router.signatures(tokens).view(np.int64) if len(tokens) else np.zeros(0, np.int64))
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), flat], names=["id", "n", "d1", "d2", "sigs"])
+                        spots.append(packed(tokens) if len(tokens) else None)
+                        keys.append(keyed.keys(tokens).view(np.int64) if len(tokens) else np.zeros(0, np.int64))
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in keys])]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(spots, pa.binary()), flat], names=["id", "n", "d1", "d2", "point", "keys"])
 
     return run
 
 
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, id) rows; of a signature that a batch holds more than once, one row and the edges to it (sig null)."""
-    for batch in batches:
-        sigs = batch.column(1).flatten().to_numpy()
-        ids = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
-        order = np.lexsort((ids, sigs))
-        sigs, ids = sigs[order], ids[order]
-        first = np.ones(len(sigs), bool)
-        first[1:] = sigs[1:] != sigs[:-1]
-        hub = ids[np.flatnonzero(first)][np.cumsum(first) - 1] if len(sigs) else ids
-        pairs = np.unique(np.stack([hub[~first], ids[~first]]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(sigs[first]), pa.array(ids[first]), pa.nulls(int(first.sum()), pa.int64())], names=["sig", "a", "b"])
-        if pairs.shape[1]:
-            key = mix(pairs[0].astype(np.int64).view(_U) + mix(pairs[1].astype(np.int64).view(_U))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(pairs[0]), pa.array(pairs[1])], names=["sig", "a", "b"])
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges from the smallest id of each signature to its others; rows come sorted, so only the last hub is carried over."""
-    last, hub_of_last = None, None
-    for batch in batches:
-        b = batch.column(2)
-        edge = b.is_valid().to_numpy(zero_copy_only=False)
-        a, sig = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-        out = [np.stack([a[edge], b.filter(b.is_valid()).to_numpy()])]
-        sig, ids = sig[~edge], a[~edge]
-        if len(sig):
-            first = np.ones(len(sig), bool)
-            first[1:] = sig[1:] != sig[:-1]
-            heads = ids[first]
-            if last is not None and sig[0] == last:
-                heads = heads.copy()
-                heads[0] = hub_of_last
-            hub = heads[np.cumsum(first) - 1]
-            last, hub_of_last = sig[-1], hub[-1]
-            out.append(np.stack([hub, ids])[:, hub != ids])
-        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-        if pairs.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-
 def _verify(k: int, num: int, den: int):
     """Links in one chunk: rows (id, d1, known, probe, text)."""
 
@@ -179,14 +104,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str =
     if not isinstance(docs.schema[key].dataType, T.IntegralType):
         raise TypeError(f"{key} is no whole number")
     slim = keyed_text(docs, key, text).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
-    rows, count = bands(num / den)
-    all_docs = cut(slim.mapInArrow(_summarise(k, rows, count), "id long, n long, d1 long, d2 long, sigs array<long>"))
-    classes = all_docs.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("sigs").alias("sigs"))
-    routed = classes.select("id", "sigs").mapInArrow(_combine, "sig long, a long, b long").repartition("sig").sortWithinPartitions("sig", "a")
-    coarse = components(routed.mapInArrow(_stars, "a long, b long"))
+    all_docs = cut(slim.mapInArrow(_summarise(k, num, den), "id long, n long, d1 long, d2 long, point binary, keys array<long>"))
+    classes = cut(all_docs.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("keys").alias("keys")))
+    coarse = components(edges(classes, num, den))
     sizes = coarse.groupBy("label").agg(F.count("*").alias("size"))
-    reps = all_docs.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"))
-    clusters = coarse.join(sizes, "label").join(reps.select(F.col("id").alias("node"), "d1"), "node")
+    clusters = coarse.join(sizes, "label").join(classes.select(F.col("id").alias("node"), "d1"), "node")
     members = cut(slim.join(clusters.withColumnRenamed("node", "id"), "id").select("label", "size", "id", "d1", "text"))
     verify = _verify(k, num, den)
 
@@ -200,7 +122,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str =
     if not large.isEmpty():
         found = _across(large, found, links)
     labels = components(found).withColumnRenamed("node", "id")
-    discard(found, members)
+    discard(found, members, classes)
     out = _labelled(all_docs, labels)
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
 
