@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 
@@ -45,7 +46,8 @@ MARK, TEXT, PLAIN, ASIDE = 60.0, 60.0, 0.3, 0.1
 
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)(noscript|template|svg|head|iframe|select|textarea|button|body|article|main)\b([^>]*)>", re.S | re.I)
 _META = re.compile(r"(?:\s+|<!--.*?-->|<(?:base|basefont|bgsound|link|meta)\b[^>]*>|<(title|script|style|noscript|template)\b[^>]*>.*?</\1\s*>)*", re.S | re.I)
-_TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""")
+# a tag holds no other "<" outside quotes, so that a page of unclosed ones is read in linear time
+_TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^<>]*+>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPLIT = re.compile(r"[\s_\-]+")
 
@@ -129,6 +131,7 @@ def lines(html: str) -> list[Line]:
     parts: list[str] = []
     #: open elements: name, what holds their text, and whether a marked article is around
     open_: list[tuple[str, int, bool]] = []
+    depth: Counter[str] = Counter()
     link, plain, prose = 0, 0, False
 
     def end() -> None:
@@ -161,14 +164,17 @@ def lines(html: str) -> list[Line]:
         if name in _VOID or name in ("html", "body"):
             continue
         if closing:
-            i = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
-            if i is not None and not (name in _AGAIN and any(n not in _AGAIN for n, _, _ in open_[i + 1 :])):
+            i = len(open_) - 1 if depth[name] else -1
+            while i >= 0 and open_[i][0] != name and (name not in _AGAIN or open_[i][0] in _AGAIN):
+                i -= 1
+            if i >= 0 and open_[i][0] == name:
+                depth.subtract(n for n, _, _ in open_[i:])
                 del open_[i:]
             continue
         if m[3].endswith("/"):
             continue
         while open_ and (open_[-1][0] == "p" or open_[-1][0] == name and name in _AGAIN):
-            open_.pop()
+            depth[open_.pop()[0]] -= 1
         _, within, marked = open_[-1] if open_ else ("", 0, False)
         if name in _MAIN and not (marked and within < 0):
             within, marked = 1, True
@@ -177,6 +183,7 @@ def lines(html: str) -> list[Line]:
         if m[3] and _boilerplate(m[3]):
             within = -1
         open_.append((name, within, marked))
+        depth[name] += 1
     if at < len(html):
         parts.append(html[at:])
         plain += 0 if link else len(html[at:].strip())

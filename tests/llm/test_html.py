@@ -59,3 +59,12 @@ def test_long_and_clashing(spark):
     got = sorted(tuple(r) for r in html.extract_pages(df).collect())
     want = " ".join(f"{PROSE}{i}" for i in range(20_000))
     assert got == [(1, "u", want, len(want)), (1, "u", want, len(want)), (2, None, "deep", 4)]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for page in ("<a" * 300_000, "<a b='" * 200_000, "<div>" * 100_000 + "</section>" * 100_000, "<p>" + "<div>" * 100_000 + "</p>" * 100_000, "<li><dd>" * 50_000 + "</td>" * 50_000, "<!--" * 200_000, "<" * 500_000, "<svg>" * 100_000):
+        assert isinstance(html.extract(page), str)
+    assert time.process_time() - began < 30
