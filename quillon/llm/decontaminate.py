@@ -395,3 +395,29 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_k
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(clean, docs.schema)
+
+
+#: DuckDB's view of ``report`` with windows of ten words.
+REPORT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), cut AS (
+  SELECT item, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item, m, array_to_string(w[p : p + m - 1], ' ') AS body FROM cut
+), sizes AS (SELECT DISTINCT m FROM windows),
+places AS (
+  SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, sizes WHERE len(w) >= m
+), met AS (
+  SELECT x.doc_id, x.p, x.m, v.item FROM places AS x JOIN windows AS v ON v.m = x.m AND v.body = array_to_string(x.w[x.p : x.p + x.m - 1], ' ')
+), covered AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS q FROM met) AS y GROUP BY doc_id
+), owners AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM met) AS z GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered AS c ON c.doc_id = d.doc_id LEFT JOIN owners AS o ON o.doc_id = d.doc_id
+"""

@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.REPORT_SQL}
+    return {"op1_quality_rules": quality.REPORT_SQL, "op8_ngram_jaccard_join": neardup.JOIN_SQL, "op9_decontamination": decontaminate.REPORT_SQL}

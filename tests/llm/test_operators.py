@@ -388,6 +388,19 @@ def test_repeated_rows(docs, texts):
     assert quality.report(twice).count() == 2 * len(texts)
 
 
+@pytest.mark.parametrize("name", sorted(q.oracle_sql()))
+def test_against_sql(spark, name):
+    import duckdb
+
+    sf, duck = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
+    df = q.queries()[name](spark, sf)
+    result = duck.execute(q.oracle_sql()[name])
+    assert [c[0] for c in result.description] == df.columns
+    assert sorted(map(tuple, df.collect())) == sorted(result.fetchall())
+
+
 def test_registered_queries():
     names = list(q.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
