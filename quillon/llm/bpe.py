@@ -15,9 +15,9 @@ carried.  Ids that the vocabulary does not hold make ``decode`` raise.
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -197,17 +197,17 @@ class Encoder:
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.memo.__getitem__, self.split(text))))
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.split(text))), np.int32).tolist()
 
     def encode_batch(self, texts: list[str | None]) -> pa.Array:
         """A list<int32> array; null texts give empty lists."""
         memo, split = self.memo.__getitem__, self.split
         ends, parts = [0], []
         for text in texts:
-            ids = np.fromiter(chain.from_iterable(map(memo, split(text))), np.int32) if text else np.zeros(0, np.int32)
+            ids = b"".join(map(memo, split(text))) if text else b""
             parts.append(ids)
-            ends.append(ends[-1] + len(ids))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+            ends.append(ends[-1] + len(ids) // 4)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
     def decode_batch(self, ids: pa.ListArray) -> pa.Array:
         """The bytes of each list; null lists give empty bytes."""
@@ -223,16 +223,19 @@ class Encoder:
 
 
 class _Memo(dict):
-    """Two generations: when the young one is full it becomes the old one, whose entries come back as they are used."""
+    """The ids of pre-tokens as bytes, which take less room than tuples.
+
+    Two generations: when the young one is full it becomes the old one, whose entries come back as they are used.
+    """
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = self.encoder.merge(piece.encode("utf-8", "replace"))
+            ids = array("i", self.encoder.merge(piece.encode("utf-8", "replace"))).tobytes()
             if len(piece) > 64:
                 return ids
         if len(self) >= REMEMBERED:
@@ -273,10 +276,22 @@ def decode(tokens: DataFrame, key: str = "doc_id", ids: str = "ids", path: str |
     return per_batch(slim, step, f"`{key}` {slim.schema[0].dataType.simpleString()}, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, with_ids: bool = False, **options) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 of a full round trip, and the ids if asked for."""
-    return decode(encode(docs, **options)).select(
-        "doc_id",
+def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``decode(encode(...))`` in one pass, so that a task needs one Python worker: key, ids, decoded."""
+    path, slim = _place(path), keyed_text(docs, key, text)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known = encoder(path, pattern)
+        ids = known.encode_batch(batch.column(1).to_pylist())
+        return pa.RecordBatch.from_arrays([batch.column(0), ids, known.decode_batch(ids)], names=[key, "ids", "decoded"])
+
+    return per_batch(slim, step, f"`{key}` {slim.schema[0].dataType.simpleString()}, ids array<int>, decoded binary")
+
+
+def digests(docs: DataFrame, with_ids: bool = False, key: str = "doc_id", **options) -> DataFrame:
+    """Per document: key, n_tokens, ids_sha256, decoded_sha256 of a full round trip, and the ids if asked for."""
+    return round_trip(docs, key, **options).select(
+        F.col(f"`{key}`"),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
